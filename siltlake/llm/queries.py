@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, packing, quality, sharding, toxicity
+from . import bpe, itq, licenses, packing, quality, sharding, simhash, substrings, topk, toxicity
 
-MODULES = (packing, quality, bpe, toxicity, licenses, sharding)
+MODULES = (itq, packing, topk, quality, bpe, toxicity, substrings, licenses, simhash, sharding)
 
 
 def queries() -> dict:
