@@ -16,9 +16,10 @@ WINDOW = 13
 GRAM = 4  # words whose hash routes a window
 CHUNK_BYTES = 8 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
-HEAD = np.dtype([("mz", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("at", "<i4"), ("words", "<u4"), ("size", "<u4")])
-ROUTED = "shard long, doc_id long, text_key long, data binary"
-SPANS = "doc_id long, text_key long, spans binary"
+#: Half of a minimizer's hash is sent: two that share it are only compared needlessly.
+HEAD = np.dtype([("mz", "<u4"), ("doc", "<i8"), ("text", "<i4"), ("at", "<i4"), ("words", "<u4"), ("size", "<u4")])
+ROUTED = "shard long, doc_id long, text_key int, data binary"
+SPANS = "doc_id long, text_key int, spans binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -91,7 +92,7 @@ def _cut(shards: int, window: int, gram: int, chunk: int):
         kept, lost = np.array(kept), np.array(lost, "i8")
         head = np.zeros(len(kept), HEAD)
         d = doc[kept]
-        head["mz"], head["doc"], head["text"], head["at"], head["words"] = mz[kept], doc_ids[d], keys[d], a[kept] - first[d], (b - a)[kept]
+        head["mz"], head["doc"], head["text"], head["at"], head["words"] = mz[kept] >> np.uint64(32), doc_ids[d], keys[d], a[kept] - first[d], (b - a)[kept]
         head["size"] = [len(t) for t in texts]
         shard = (mz[kept] >> np.uint64(20)) % np.uint64(shards)
         order = np.argsort(shard, kind="stable")
@@ -108,7 +109,7 @@ def _cut(shards: int, window: int, gram: int, chunk: int):
             for x, y in zip(cut, cut[1:]):
                 f = first[d[x]]
                 rows.append((int(doc_ids[d[x]]) % shards, int(doc_ids[d[x]]), int(keys[d[x]]), merged(a[lost[x:y]] - f, b[lost[x:y]] - f).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "doc_id", "text_key", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["shard", "doc_id", "text_key", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, held = [], 0
@@ -217,7 +218,7 @@ def _search(window: int):
             for k, a, b in repeats(head, texts, window):
                 s = merged(a.astype("i8"), b.astype("i8")) + head["at"][k]
                 out.append((int(head["doc"][k]), int(head["text"][k]), s.astype("<i4").tobytes()))
-        return pa.table([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "text_key", "spans"])
+        return pa.table([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "text_key", "spans"])
 
     return run
 
@@ -226,7 +227,7 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, chunk_bytes:
     """doc_id, text_key, spans (pairs of word numbers, packed) of what is repeated."""
     spark = docs.sparkSession
     small_batches(spark)
-    cut = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_cut(parts(spark), window, gram, chunk_bytes), ROUTED)
+    cut = docs.select("doc_id", F.hash("text").alias("text_key"), "text").mapInArrow(_cut(parts(spark), window, gram, chunk_bytes), ROUTED)
     return cut.groupBy("shard").applyInArrow(_search(window), SPANS)
 
 
@@ -244,7 +245,7 @@ def _joined(docs: DataFrame, window: int, carry: list[str]) -> DataFrame:
     """_text, _spans, carry of every row."""
     base = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     found = spans(base, window).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_list("spans").alias("_spans"))
-    rows = base.select(F.col("text").alias("_text"), F.xxhash64("text").alias("_own"), *carry)
+    rows = base.select(F.col("text").alias("_text"), F.hash("text").alias("_own"), *carry)
     return rows.join(found, (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_key")), "left").select("_text", "_spans", *carry)
 
 
