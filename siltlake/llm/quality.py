@@ -147,6 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, features: int =
     """The model, or None if there are not both labels among the learning rows."""
     small_batches(docs.sparkSession)
     data = checkpointed(labelled(docs, labels, "quality", 4, 2, bound).mapInArrow(_measured, "doc_id long, x binary, y double").repartition(LEARN_PARTS, "doc_id"))
+    data = data.coalesce(LEARN_PARTS)  # the sample is bounded, and so is what is summed of it, whatever the cluster deals
     moments = _summed(data, lambda x, y, c: [np.array([len(y), y.sum(), (~c).sum(), c.sum()], "f8"), x.sum(0), (x * x).sum(0)])
     if not moments or not 0 < moments[0][1] < moments[0][0]:
         return None
