@@ -22,6 +22,7 @@ SEGMENT = 64  # words averaged together when scoring; a document counts as its w
 FLOORS = [0, 25, 50, 75, 100, 125, 150, 175, 200, 250, 300, 350, 400, 500]
 LEAST = 16  # words that a shorter or repetitive segment counts as
 CUT = 0.5
+HALF = 4096  # brings the weights of a bag into the range of half precision
 WORDS = re.compile(r"\w+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,29 +98,34 @@ class Model:
         return out
 
 
+def widened(v: np.ndarray) -> np.ndarray:
+    return v.astype("f4") / HALF
+
+
 def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 6) -> Model:
-    """Embeddings and softmax together, by Adam over mini-batches."""
+    """Embeddings and softmax together, by Adam over mini-batches.  The bags stay in half
+    precision; a batch at a time is widened."""
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.05, (BUCKETS, DIM)).astype("f4")
     w = rng.normal(0, 0.5, (DIM, 2)).astype("f4")
     bias = np.zeros(2, "f4")
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (e, w, bias)]
     fit, step = np.arange(len(bags)), 0
-    scale = np.float32(1 / max(1e-9, np.mean([np.sqrt((v**2).sum()) for _, v in bags if len(v)] or [1.0])))
+    scale = np.float32(1 / max(1e-9, np.mean([np.sqrt((widened(v) ** 2).sum()) for _, v in bags if len(v)] or [1.0])))
     for _ in range(-(-STEPS * 128 // max(1, len(bags)))):
         rng.shuffle(fit)
         for k in range(0, len(fit), 128):
             rows = fit[k : k + 128]
-            h = np.array([(bags[r][1] * scale) @ e[bags[r][0]] if len(bags[r][0]) else np.zeros(DIM) for r in rows], "f4")
+            some = [(bags[r][0], widened(bags[r][1]) * scale) for r in rows]
+            h = np.array([v @ e[at] if len(at) else np.zeros(DIM) for at, v in some], "f4")
             z = h @ w + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(rows)), y[rows].astype(int)] -= 1
             p /= len(rows)
             ge = np.zeros_like(e)
-            for r, g in zip(rows, (p @ w.T).astype("f4"), strict=True):
-                if len(bags[r][0]):
-                    ge[bags[r][0]] += np.outer(bags[r][1] * scale, g)
+            for (at, v), g in zip(some, (p @ w.T).astype("f4"), strict=True):
+                ge[at] += np.outer(v, g)
             step += 1
             for p_, g, (m, v) in zip((e, w, bias), (ge + 1e-6 * e, h.T @ p + 1e-4 * w, p.sum(0)), state, strict=True):
                 m += 0.1 * (g - m)
@@ -155,12 +161,15 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model | None
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [bag(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([pack(k) for k, _ in got], pa.binary()), pa.array([(v * 4096).astype("f2").tobytes() for _, v in got], pa.binary())], names=["doc_id", "y", "k", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([pack(k) for k, _ in got], pa.binary()), pa.array([(v * HALF).astype("f2").tobytes() for _, v in got], pa.binary())], names=["doc_id", "y", "k", "v"])
 
     rows = sample.where(~test).mapInArrow(bags, "doc_id long, y double, k binary, v binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["y"], r["v"]))
-    model = train([(unpack(bytes(r["k"]), "<u2").astype("i8"), np.frombuffer(r["v"], "f2").astype("f4") / 4096) for r in rows], np.array([r["y"] for r in rows]))
+    y = np.array([r["y"] for r in rows])
+    packed = [(unpack(bytes(r["k"]), "<u2"), np.frombuffer(r["v"], "f2")) for r in rows]
     del rows
+    model = train(packed, y)
+    del packed
 
     def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
