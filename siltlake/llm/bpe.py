@@ -50,10 +50,8 @@ def _split(shards: int, chunk: int):
 
         part, count = TaskContext.get().partitionId(), 0
 
-        def flush(ids: list, docs: list[list[str]]) -> pa.RecordBatch:
+        def flush(ids: list, first: dict[str, int], at: list[np.ndarray]) -> pa.RecordBatch:
             nonlocal count
-            first: dict[str, int] = {}
-            at = [np.array([first.setdefault(w, len(first)) for w in d], "<u4") for d in docs]
             of = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % shards for w in first], "i4")
             order = np.argsort(of, kind="stable")
             slot = np.empty(len(order), "<u4")
@@ -70,17 +68,17 @@ def _split(shards: int, chunk: int):
             count += 1
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["batch", "shard", "doc_id", "n", "data"])
 
-        ids, docs, held = [], [], 0
+        ids, first, at, held = [], {}, [], 0
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids.append(i)
-                docs.append(WORD.findall(t or ""))
+                at.append(np.array([first.setdefault(w, len(first)) for w in WORD.findall(t or "")], "<u4"))
                 held += len(t or "")
                 if held >= chunk:
-                    yield flush(ids, docs)
-                    ids, docs, held = [], [], 0
+                    yield flush(ids, first, at)
+                    ids, first, at, held = [], {}, [], 0
         if ids:
-            yield flush(ids, docs)
+            yield flush(ids, first, at)
 
     return run
 
