@@ -20,24 +20,33 @@ LEAF = 8
 SEED = 42
 
 
-def fingerprint(text: str | None) -> int:
-    """Bits set in over half of the XXH64 of the text's word shingles."""
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The XXH64 of each of the text's word shingles."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined_, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
-    k = min(SHINGLE, len(words))
+    k = min(shingle, len(words))
     starts = [0, *(ends[: len(words) - k]).tolist()]
     h64 = xxhash.xxh64_intdigest
-    h = np.array([h64(joined_[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)], "<u8")
+    return np.array([h64(joined_[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)], "<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """Bits set in over half of the hashes."""
     count = np.zeros(64, "i8")
     for at in range(0, len(h), 8192):
         count += np.unpackbits(h[at : at + 8192].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="i8")
     return int(np.packbits(count * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None) -> int:
+    """Bits set in over half of the XXH64 of the text's word shingles."""
+    return majority(shingles(text))
+
+
 def fingerprints(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """carry columns and fp (the fingerprint's bits as a signed long)."""
     carry = carry or ["doc_id"]
