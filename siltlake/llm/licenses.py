@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .common import table
 
@@ -69,7 +69,8 @@ def token_order(docs: DataFrame, templates: list[tuple[str, str]], text_col: str
 
 def matches(docs: DataFrame, keys: list[str], templates: list[tuple[str, str]], threshold: float, text_col: str = "text") -> DataFrame:
     """keys, line, label, containment of every line that holds at least ``threshold`` of
-    a template's tokens.
+    a template's tokens, and with a null line of every text in which a run of words
+    does (``wrapped``).
 
     A template's prefix is its ``size - need + 1`` rarest tokens, need = ceil(threshold
     * size): a line with ``need`` tokens of it holds one of these.  Lines keep the
@@ -96,11 +97,33 @@ def matches(docs: DataFrame, keys: list[str], templates: list[tuple[str, str]],
         & (1 + F.least(F.size("tokens") - F.col("at") - 1, F.size("held") - F.array_position("held", F.col("token"))) >= F.col("need"))
     )
     common = F.size(F.array_intersect("held", "tokens"))
-    return (
+    found = (
         pairs.where(common >= F.col("need"))
         .select(*keys, "line", "template", "label", (common / F.size("tokens")).alias("containment"))
         .distinct()
     )
+    return found.unionByName(wrapped(some, keys, order, templates, threshold, text_col))
+
+
+def wrapped(docs: DataFrame, keys: list[str], order: list[str], templates: list[tuple[str, str]], threshold: float, text_col: str) -> DataFrame:
+    """As ``matches``, by runs of words wherever lines break.  A run has the template's
+    words divided by ``threshold``; only texts that hold enough of its tokens at all
+    are searched, at the places of these tokens."""
+    asked = []
+    for k, (label, text) in enumerate(templates):
+        tokens = sorted(set(text.split()))
+        asked.append((k, label, math.ceil(threshold * len(tokens) - 1e-9), math.ceil(len(text.split()) / threshold - 1e-9), tokens))
+    asked = docs.sparkSession.createDataFrame(asked, "template int, label string, need int, run int, tokens array<string>")
+    words = F.split(F.trim(words_of(F.col(text_col))), " ")
+    # texts that hold what a template needs, then their words one a row
+    held = docs.select(*keys, words.alias("words")).withColumn("held", F.array_intersect(F.lit(order), F.col("words")))
+    able = held.join(F.broadcast(asked), F.size(F.array_intersect("held", "tokens")) >= F.col("need")).dropDuplicates([*keys, "template"])
+    at = able.select(*keys, "template", "label", "run", "need", F.size("tokens").alias("size"), "tokens", F.posexplode("words").alias("at", "w")).where(F.array_contains("tokens", F.col("w")))
+    frame = W.partitionBy(*keys, "template").orderBy("at").rowsBetween(0, math.ceil(max(len(t.split()) for _, t in templates) / threshold))
+    near = F.collect_list(F.struct("at", "w")).over(frame)
+    inside = lambda x: x["at"] < F.col("at") + F.col("run")
+    common = at.withColumn("common", F.size(F.array_distinct(F.filter(near, inside)["w"]))).where("common >= need")
+    return common.groupBy(*keys, "template", "label").agg((F.max("common") / F.max("size")).alias("containment")).select(*keys, F.lit(None).cast("int").alias("line"), "template", "label", "containment")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -108,7 +131,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased.  Base:
     places where a phrase of ``PHRASES`` stands.  Added: labels of the templates that a
-    line of the text contains to ``threshold``.  ``score`` is 1 if there is a base
+    line of the text, or a run of words over line breaks, contains to ``threshold``.  ``score`` is 1 if there is a base
     label, else the best containment found, else 0.
 
     Nulls: a null text is empty (no words, no labels: empty strings); a null id is
