@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _written: list[str] = []
@@ -13,10 +15,12 @@ _written: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the cluster names none (local tests) a temporary one is set.
+    Only on a local master, where the cluster names none, a temporary one is set.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="siltlake-")
         spark.conf.set("spark.checkpoint.dir", at)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -51,11 +55,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows: texts may be long, and a batch is held in memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of few rows, as texts may be long once they are Python's.
+    (The session's limit on a batch's bytes bounds what Spark sends at once.)"""
+    for b in batches:
+        for k in range(0, len(b), rows):
+            yield b.slice(k, rows)
 
 
 def fold(col: str, k: int) -> Column:
@@ -71,11 +76,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pack(values) -> bytes:
+def pack(values, level: int = 1) -> bytes:
     """A numpy array, its byte planes one after another, compressed."""
     import zstandard
 
-    return zstandard.compress(values.reshape(-1, 1).view("u1").T.tobytes() if len(values) else b"", 1)
+    return zstandard.compress(values.reshape(-1, 1).view("u1").T.tobytes() if len(values) else b"", level)
 
 
 def unpack(blob: bytes, dtype: str):

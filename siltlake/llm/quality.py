@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import checkpointed, fold, small_batches, table
+from .common import checkpointed, fold, slices, table
 
 SAMPLE = 20_000  # labelled rows that are fitted, at most (the first by hash of the id)
 FEATURES = 512
@@ -110,7 +110,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, k: int, held: int,
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         x = [np.array(statistics(t), "f8").tobytes() for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary()), b.column(2)], names=["doc_id", "x", "y"])
 
@@ -131,7 +131,7 @@ def _summed(data: DataFrame, of) -> list[np.ndarray]:
         from pyspark import TaskContext
 
         total = None
-        for b in batches:
+        for b in slices(batches):
             part = of(*_rows(b))
             total = part if total is None else [p + q for p, q in zip(total, part, strict=True)]
         if total is not None:
@@ -145,7 +145,6 @@ def _summed(data: DataFrame, of) -> list[np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, features: int = FEATURES, seed: int = 4) -> Model | None:
     """The model, or None if there are not both labels among the learning rows."""
-    small_batches(docs.sparkSession)
     data = checkpointed(labelled(docs, labels, "quality", 4, 2, bound).mapInArrow(_measured, "doc_id long, x binary, y double").repartition(LEARN_PARTS, "doc_id"))
     data = data.coalesce(LEARN_PARTS)  # the sample is bounded, and so is what is summed of it, whatever the cluster deals
     moments = _summed(data, lambda x, y, c: [np.array([len(y), y.sum(), (~c).sum(), c.sum()], "f8"), x.sum(0), (x * x).sum(0)])
@@ -166,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, features: int =
     m.weights = np.linalg.solve(a + RIDGE * n / features * np.eye(len(a)), b)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x, y, c = _rows(batch)
             keep = np.ones(len(y), bool) if all_fit else c
             yield pa.RecordBatch.from_arrays([pa.array(m.raw(x[keep])), pa.array(y[keep])], names=["r", "y"])
@@ -178,12 +177,11 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, features: int =
 
 def score(docs: DataFrame, model: Model | None, carry: list[str] = ["doc_id"]) -> DataFrame:
     """carry columns and score of every row; 0.5 where there is no model."""
-    small_batches(docs.sparkSession)
     schema = docs.select(*carry).schema.add("score", "double")
     names = [*carry, "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             if len(b):
                 x = np.array([statistics(t) for t in b.column(0).to_pylist()])
                 s = np.full(len(x), 0.5) if model is None else model.score(x)

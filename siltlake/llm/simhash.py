@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import small_batches, table, written
+from .common import slices, table, written
 from .graph import components
 from .pairs import across, cells, joined, within
 
@@ -50,11 +50,10 @@ def fingerprint(text: str | None) -> int:
 def fingerprints(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """carry columns and fp (the fingerprint's bits as a signed long)."""
     carry = carry or ["doc_id"]
-    small_batches(docs.sparkSession)
     names = [*carry, "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([fingerprint(t) for t in b.column(0).to_pylist()], "u8").view("i8")
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fp)], names=names)
 
@@ -185,7 +184,7 @@ def linked(prints: DataFrame, radius: int = RADIUS, m: int = PROJECTIONS, block:
     trees = [VPTree(sample & k) for k in masks]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids, fp = b.column(0).to_numpy(), b.column(1).to_numpy().view("u8")
             for t, (tree, mask) in enumerate(zip(trees, masks, strict=True)):
                 i, leaf = tree.route(fp & mask, own)

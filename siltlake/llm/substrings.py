@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import parts, small_batches, table
+from .common import parts, slices, table
 from .fmindex import FMIndex
 
 WINDOW = 13
@@ -113,7 +113,7 @@ def _cut(shards: int, window: int, gram: int, chunk: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, held = [], 0
-        for x in batches:
+        for x in slices(batches):
             for i, k, t in zip(*(x.column(c).to_pylist() for c in range(3)), strict=True):
                 if i is not None and t:
                     docs.append((i, k, words_of(t)))
@@ -226,7 +226,6 @@ def _search(window: int):
 def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, text_key, spans (pairs of word numbers, packed) of what is repeated."""
     spark = docs.sparkSession
-    small_batches(spark)
     cut = docs.select("doc_id", F.hash("text").alias("text_key"), "text").mapInArrow(_cut(parts(spark), window, gram, chunk_bytes), ROUTED)
     return cut.groupBy("shard").applyInArrow(_search(window), SPANS)
 
@@ -265,7 +264,7 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for t, s, i in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 words = words_of(t)
@@ -286,7 +285,7 @@ def without_repeats(docs: DataFrame, carry: list[str], window: int = WINDOW) ->
         import re
 
         word = re.compile(r"[^\x20\x09-\x0D]+\s?")
-        for b in batches:
+        for b in slices(batches):
             texts, lost_n = [], []
             for t, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 n = 0

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import fold, pack, small_batches, table, unpack, written
+from .common import fold, pack, slices, table, unpack, written
 from .quality import labelled
 
 BUCKETS = 1 << 16
@@ -149,7 +149,6 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model | None
     """Learns from at most ``bound`` labelled rows outside fold 0 of 5.  Three in four
     train; with the others the word floor and the cut are chosen, errors weighted
     back to the shares there are, as the sample holds more toxic rows."""
-    small_batches(docs.sparkSession)
     some = labels.where((fold("doc_id", 5) != 0) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
     n = {r["toxic"]: r["count"] for r in some.groupBy("toxic").count().collect()}
     if not (n.get(0) and n.get(1)):
@@ -159,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model | None
     test = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(4)) == 0
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = [bag(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([pack(k) for k, _ in got], pa.binary()), pa.array([(v * HALF).astype("f2").tobytes() for _, v in got], pa.binary())], names=["doc_id", "y", "k", "v"])
 
@@ -172,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model | None
     del packed
 
     def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             z = []
             for f in FLOORS:
                 model.floor = f
@@ -192,11 +191,10 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model | None
 
 def score(docs: DataFrame, model: Model | None, carry: list[str] = ["doc_id"]) -> DataFrame:
     """carry columns and score of every row, 0.5 where there is no model."""
-    small_batches(docs.sparkSession)
     schema, names = docs.select(*carry).schema.add("score", "double"), [*carry, "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             z = (model.worst(b.column(0).to_pylist()) - model.cut) / max(1.0, abs(model.cut) / 4) if model else np.zeros(len(b))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=names)
 
