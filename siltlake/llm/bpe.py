@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import pack, parts, slices, table, unpack, written
 
-CHUNK_BYTES = 24 << 20  # text whose words are held together
+CHUNK_BYTES = 48 << 20  # text whose words are held together
 BATCH_TOKENS = 1 << 20  # ids that leave a chunk at once
 PLACED = "chunk long, shard int, docs array<long>, lens binary, n long, data binary"
 NAMES = ["chunk", "shard", "docs", "lens", "n", "data"]
@@ -51,6 +51,26 @@ class Slots(dict):
         return n
 
 
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Numbers most of which are small: those of one, two and four bytes by themselves."""
+    width = (x >= 1 << 8).astype("u1") + (x >= 1 << 16).astype("u1")
+    streams = [pack(width, 9), *(pack(x[width == k].astype(t), 9) for k, t in enumerate(("u1", "<u2", "<u4")))]
+    return b"".join(len(z).to_bytes(8, "little") + z for z in streams)
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    streams = []
+    while data:
+        n = int.from_bytes(data[:8], "little")
+        streams.append(data[8 : 8 + n])
+        data = data[8 + n :]
+    width = unpack(streams[0], "u1")
+    out = np.empty(len(width), "<u4")
+    for k, t in enumerate(("u1", "<u2", "<u4")):
+        out[width == k] = unpack(streams[k + 1], t)
+    return out
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES, strict=True)], names=NAMES)
 
@@ -76,12 +96,12 @@ def _split(shards: int, chunk_bytes: int):
             number = np.empty(len(words), "<u4")
             number[order] = np.arange(len(words), dtype="<u4")
             of = np.array([zlib.crc32(w) % shards for w in words], "<u4")[order]
-            rows = [(chunk, None, ids, pack(np.array([len(a) for a in at], "<u4")), len(words), pack(number[every] if len(words) else every, 3)), (chunk, -1, None, None, len(words), pack(of))]
+            rows = [(chunk, None, ids, pack(np.array([len(a) for a in at], "<u4")), len(words), pack_numbers(number[every] if len(words) else every)), (chunk, -1, None, None, len(words), pack(of))]
             by = np.argsort(of, kind="stable")
             ends = np.searchsorted(of[by], np.arange(shards + 1))
             for s in np.flatnonzero(np.diff(ends)).tolist():
                 own = order[by[ends[s] : ends[s + 1]]].tolist()
-                rows.append((chunk, s, None, None, len(own), zstandard.compress(b"\n".join([words[k] for k in own]), 3)))
+                rows.append((chunk, s, None, None, len(own), zstandard.compress(b"\n".join([words[k] for k in own]), 9)))
             return _rows(rows)
 
         ids, slots, at, held = [], Slots(), [], 0
@@ -118,7 +138,7 @@ def _encode(model):
                         ids[w] = np.array(e.ids, "<u4").tobytes()
                 per = [ids[w] for w in words]
                 lens = np.array([len(p) >> 2 for p in per], "<u4")
-                yield _rows([(chunk, shard, None, pack(lens), n, pack(np.frombuffer(b"".join(per), "<u4"), 3))])
+                yield _rows([(chunk, shard, None, pack(lens), n, pack(np.frombuffer(b"".join(per), "<u4"), 9))])
 
     return run
 
@@ -129,7 +149,7 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for s, d, n, x, data in zip(*(b.column(c).to_pylist() for c in ("shard", "docs", "lens", "n", "data")), strict=True):
             if s is None:
-                docs = d, unpack(n, "<u4").astype("i8"), unpack(data, "<u4")
+                docs = d, unpack(n, "<u4").astype("i8"), unpack_numbers(data)
             elif s < 0:
                 of = unpack(data, "<u4")
             else:

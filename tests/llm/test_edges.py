@@ -262,3 +262,9 @@ def test_held_out_labels_teach_nothing(spark, docs_of):
     make = lambda flip: spark.createDataFrame([(i, i % 2 ^ (flip and zlib.crc32(str(i).encode()) % 4 == 2), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
     scores = [{r["doc_id"]: r["score"] for r in quality.classify(docs_of(rows), make(flip)).collect()} for flip in (False, True)]
     assert scores[0] == scores[1]
+
+
+@pytest.mark.parametrize("top", [1, 200, 70_000, 2**32 - 1])
+def test_numbers_of_words_are_whole_again(top):
+    x = np.concatenate([np.random.default_rng(top).integers(0, top, 1000), [0, top]]).astype("<u4")
+    assert (bpe.unpack_numbers(bpe.pack_numbers(x)) == x).all() and len(bpe.unpack_numbers(bpe.pack_numbers(x[:0]))) == 0
