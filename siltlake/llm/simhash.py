@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import slices, table, written
 from .graph import components
-from .pairs import across, cells, joined, within
+from .pairs import joined
 
 SHINGLE = 4
 RADIUS = 4
-PROJECTIONS = 5  # one of them is alike in any two fingerprints RADIUS bits apart
-SAMPLE = 4096  # fingerprints that the trees are built from, at most
-LEAF = 8
+SAMPLE = 32_768  # fingerprints that the tree of shards is built from, at most
+SHARDS = (64, 4096)  # least and most leaves of that tree, about
+SHARD_ROWS = 20_000  # fingerprints that a shard has at home, on average, between these
+HOME = 100_000  # fingerprints that one task has at home, at most about
+LEAF = 128  # fingerprints in a leaf of the tree within a shard
+LINKS = 1 << 20  # links held before they are contracted
 SEED = 42
 
 
@@ -65,15 +68,17 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class VPTree:
-    """Vantage points and the distance that parts near from far, built from a sample.
-    A leaf is a shard."""
+    """Vantage points and the distance that parts near from far.  Leaves are numbered,
+    and hold the points that they were built from."""
 
-    def __init__(self, sample: np.ndarray, leaf: int = LEAF):
+    def __init__(self, points: np.ndarray, leaf: int = LEAF):
         self.nodes: list[tuple[int, int, int, int]] = []  # point, limit, near child, far child; a leaf is ~number
-        self.leaves = 0
-        self.root = self._build(np.unique(sample), leaf)
+        self.leaves: list[np.ndarray] = []
+        self.points = points
+        self.root = self._build(np.arange(len(points)), leaf)
 
-    def _build(self, points: np.ndarray, leaf: int) -> int:
+    def _build(self, own: np.ndarray, leaf: int) -> int:
+        points = self.points[own]
         if len(points) > leaf:
             # of a few candidates the point whose distances spread most
             some = points[:: max(1, len(points) // 8)][:8]
@@ -86,78 +91,62 @@ class VPTree:
             if not near.all():
                 at = len(self.nodes)
                 self.nodes.append((0, 0, 0, 0))
-                self.nodes[at] = (int(some[k]), limit, self._build(points[near], leaf), self._build(points[~near], leaf))
+                self.nodes[at] = (int(some[k]), limit, self._build(own[near], leaf), self._build(own[~near], leaf))
                 return at
-        self.leaves += 1
-        return -self.leaves
-
-    def route(self, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(index, leaf) of every leaf that may hold something within ``radius`` of a
-        point: by the triangle inequality a branch is passed over if the point is
-        more than ``radius`` on the other side of the limit."""
-        out_i, out_leaf = [], []
+        self.leaves.append(own)
+        return -len(self.leaves)
+
+    def visits(self, points: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(leaf, indices of ``points``): the leaves that may hold something within
+        ``radius`` of a point.  By the triangle inequality a branch is passed over if
+        the point lies more than ``radius`` on the other side of the limit; with
+        radius 0 a point comes to one leaf, its home."""
         todo = [(self.root, np.arange(len(points)))]
         while todo:
             at, i = todo.pop()
             if not len(i):
                 continue
             if at < 0:
-                out_i.append(i)
-                out_leaf.append(np.full(len(i), -at - 1, "i8"))
+                yield -at - 1, i
                 continue
             p, limit, near, far = self.nodes[at]
             d = distance(points[i], np.uint64(p)).astype("i8")
             todo += [(near, i[d - radius <= limit]), (far, i[d + radius > limit])]
-        return np.concatenate(out_i) if out_i else np.zeros(0, "i8"), np.concatenate(out_leaf) if out_leaf else np.zeros(0, "i8")
-
-
-def projections(m: int) -> list[np.uint64]:
-    """Masks that deal the 64 bits into m runs."""
-    cuts = np.linspace(0, 64, m + 1).astype(int)
-    return [np.uint64(((1 << int(b - a)) - 1) << int(a)) for a, b in zip(cuts, cuts[1:])]
-
-
-def near_links(fp: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that join all of ``fp`` that links within ``radius`` join.  A vantage point
-    takes in what is near; only what lies within twice the radius can be linked to
-    that, and what is near needs no comparing among itself."""
-    links, todo = [], np.arange(len(fp))
-    while len(todo) > 1:
-        d = distance(fp[todo], fp[todo[0]])
-        near, ring = todo[d <= radius], todo[(d > radius) & (d <= 2 * radius)]
-        links.append((np.full(len(near), todo[0]), near))
-        if len(ring) and len(near) > 1:
-            for i, j in across(near[1:], ring):
-                ok = distance(fp[i], fp[j]) <= radius
-                j, first = np.unique(j[ok], return_index=True)
-                links.append((i[ok][first], j))
-        # the vantage point is settled; what was near is too, but for links to the ring
-        todo = todo[d > radius]
-    return links
-
-
-def _compare(radius: int, exact: bool):
+
+    def home(self, points: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(points), "i8")
+        for leaf, i in self.visits(points, 0):
+            out[i] = leaf
+        return out
+
+
+def near_pairs(home: np.ndarray, tree: VPTree, asks: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(index of asks, index of home) of all pairs within ``radius``."""
+    for leaf, i in tree.visits(asks, radius):
+        own = tree.leaves[leaf]
+        step = max(1, (1 << 18) // max(1, len(own)))
+        for k in range(0, len(i), step):
+            x, y = np.nonzero(distance(asks[i[k : k + step], None], home[own]) <= radius)
+            yield i[k + x], own[y]
+
+
+def _meet(radius: int, leaf: int):
+    """One shard: what is at home, and what its boundary lets others look for there."""
+
     def run(group: pa.Table) -> pa.Table:
-        bucket, ids, fp, part = (group.column(c).to_numpy() for c in ("bucket", "id", "fp", "part"))
-        fp = fp.view("u8")
-        order = np.argsort(bucket, kind="stable")
-        bucket, ids, fp, part = bucket[order], ids[order], fp[order], part[order]
-        links: list[tuple[np.ndarray, np.ndarray]] = []
-        a, b = group.column("a")[0].as_py(), group.column("b")[0].as_py()
-        if a != b:
-            for i, j in across(np.flatnonzero(part == a), np.flatnonzero(part == b)):
-                ok = distance(fp[i], fp[j]) <= radius
-                links.append((i[ok], j[ok]))
-        else:
-            start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            size = np.diff(np.append(start, len(bucket)))
-            for s, n in zip(start[size > 64].tolist(), size[size > 64].tolist(), strict=True):
-                links += [(i + s, j + s) for i, j in near_links(fp[s : s + n], radius)]
-            small = np.flatnonzero(np.repeat(size <= 64, size))
-            for i, j in within(bucket[small]):
-                i, j = small[i], small[j]
-                ok = distance(fp[i], fp[j]) <= radius
-                links.append((i[ok], j[ok]))
+        home, asks = (np.frombuffer(b"".join(x for x in group.column(c).to_pylist() if x), "<u8") for c in ("home", "asks"))
+        tree, links, held = VPTree(home, leaf), [], 0
+        every = np.concatenate([home, asks])
+        for shift, some in ((0, home), (len(home), asks)):
+            for i, j in near_pairs(home, tree, some, radius):
+                i = i + shift
+                keep = i > j  # a pair within home is found from both sides
+                links.append((i[keep], j[keep]))
+                held += int(keep.sum())
+                if held > LINKS:
+                    links = contracted(len(every), links)
+                    held = len(links[0][0])
+        ids = every.view("i8")
         low = joined(len(ids), links, ids)
         out = low != ids
         return pa.table({"src": ids[out], "dst": low[out]})
@@ -165,52 +154,83 @@ def _compare(radius: int, exact: bool):
     return run
 
 
-def linked(prints: DataFrame, radius: int = RADIUS, m: int = PROJECTIONS, block: int = 1024) -> DataFrame:
-    """(fp, component): the classes of equal fingerprints and the smallest id each
-    reaches over links of at most ``radius`` differing bits.
+def contracted(n: int, links: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links of each of n rows to the first that it reaches."""
+    low = joined(n, links, np.arange(n))
+    out = np.flatnonzero(low != np.arange(n))
+    return [(out, low[out])]
+
 
-    Two fingerprints within ``radius`` are within radius // m of each other in one of
-    m projections.  Each projection has a vantage-point tree over Hamming distance,
-    built from a bounded sample; a fingerprint goes to every leaf that its ball in
-    the projection overlaps.  With m = 1 that is the plain tree, whose balls overlap
-    most leaves (distances of unrelated texts gather at 32 +- 4); with m = 5 the ball
-    has radius 0, one leaf, and only equal projections are compared, in full.
+def links(classes: DataFrame, n: int, radius: int = RADIUS, leaf: int = LEAF, shard_rows: int = SHARD_ROWS, most_home: int = HOME) -> DataFrame:
+    """(src, dst) over fingerprints: links that join what links of at most ``radius``
+    differing bits join, for ``n`` different ones (column fp).
+
+    A vantage-point tree, built from a bounded sample, parts the fingerprints by
+    Hamming distance; each leaf is a shard, and every fingerprint has one home.  It
+    also asks in the shards that its ball of ``radius`` overlaps, as far as these come
+    after its home (a pair needs to be found from one side).  Within a shard a tree of
+    what is at home prunes by the same bounds.  A shard with more than ``most_home``
+    at home is cut, and is asked in each part.  Fingerprints travel packed.
     """
-    spark = prints.sparkSession
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    n = classes.count()
-    sample = np.array([r["fp"] for r in classes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").collect()], "i8").view("u8")
-    masks, own = projections(m), radius // m
-    trees = [VPTree(sample & k) for k in masks]
+    least, most = SHARDS
+    sample = np.unique(np.array([r["fp"] for r in classes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").collect()], "i8").view("u8"))
+    top = VPTree(sample, max(8, len(sample) // min(max(n // shard_rows, least), most)))
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            ids, fp = b.column(0).to_numpy(), b.column(1).to_numpy().view("u8")
-            for t, (tree, mask) in enumerate(zip(trees, masks, strict=True)):
-                i, leaf = tree.route(fp & mask, own)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(fp[i].view("i8")), pa.array(np.full(len(i), t, "i4")), pa.array(leaf), pa.array((fp[i] & mask).view("i8") if own == 0 else np.zeros(len(i), "i8"))], names=["id", "fp", "tree", "leaf", "code"])
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            leaf_, count = np.unique(top.home(b.column(0).to_numpy().view("u8")), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf_), pa.array(count)], names=["leaf", "n"])
 
-    routed = classes.where("id is not null").select("id", "fp").mapInArrow(route, "id long, fp long, tree int, leaf long, code long")
-    rows = written(routed.select("id", "fp", F.xxhash64("tree", "leaf", "code").alias("bucket")))
-    edges = cells(rows, n * m, block).groupBy("shard", "a", "b").applyInArrow(_compare(radius, own == 0), "src long, dst long")
-    comp = components(edges)
-    return classes.join(comp.withColumnRenamed("id", "_id"), classes["id"] == F.col("_id"), "left").select("fp", F.coalesce("component", "id").alias("component"))
+    size = {r["leaf"]: r["n"] for r in classes.select("fp").mapInArrow(homes, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect()}
+    cut = np.array([max(1, -(-size.get(k, 0) // most_home)) for k in range(len(top.leaves))], "i8")
+    first = np.cumsum(cut) - cut
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = b.column(0).to_numpy().view("u8")
+            at = top.home(fp)
+            own = first[at] + (fp * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype("i8") % cut[at]
+            rows = []
+            for x, i in top.visits(fp, radius):
+                for cell in range(first[x], first[x] + cut[x]):
+                    home, asks = fp[own == cell], fp[i[own[i] < cell]]
+                    if len(home) or len(asks):
+                        rows.append((cell, home.tobytes(), asks.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([int(r[0]) for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["cell", "home", "asks"])
+
+    return classes.select("fp").mapInArrow(route, "cell long, home binary, asks binary").groupBy("cell").applyInArrow(_meet(radius, leaf), "src long, dst long")
+
+
+def linked(prints: DataFrame, radius: int = RADIUS, **how) -> DataFrame:
+    """(fp, component): each different fingerprint and the smallest doc_id that it
+    reaches (null if there is none).  Fingerprints are linked by ``links``, and if one
+    doc_id has several."""
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    near = links(classes, classes.count(), radius, **how)
+    several = prints.where("doc_id is not null").groupBy(F.col("doc_id").alias("_of")).agg(F.min("fp").alias("dst"), F.max("fp").alias("high")).where("dst < high").select("_of", "dst")
+    same_id = prints.join(several, F.col("doc_id") == F.col("_of")).select(F.col("fp").alias("src"), "dst")
+    roots = components(near.unionByName(same_id)).select(F.col("id").alias("_fp"), F.col("component").alias("root"))
+    rooted = written(classes.join(roots, classes["fp"] == F.col("_fp"), "left").select("fp", "id", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("id").alias("component"))
+    return rooted.join(least, F.col("root") == F.col("_root")).select("fp", "component")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, carry: list[str] | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, carry: list[str] | None = None, **how) -> DataFrame:
     """doc_id, (carry), fp, component_id of every document.
 
     Words are runs of other than ASCII white space, A-Z lower-cased; shingles of four
     (all words, if fewer; none: fingerprint zero).  Documents with equal fingerprints
-    are one class, and only classes are compared.
+    are one class, and only classes are compared, through vantage-point trees
+    (``links``; ``how`` has its sizes).
 
-    Nulls: a null text has no words; a null id takes part only through its class.
-    Rows that repeat an id are one node, with the links of all its rows.  An empty
-    table gives no rows; other columns are ignored.
+    Nulls: a null text has no words; a row with a null id has the component of its
+    fingerprint, which is null if nothing there has an id.  Rows that repeat an id are
+    one node, with the links of all its rows.  An empty table gives no rows; other
+    columns are ignored.
     """
     carry = carry or []
     prints = written(fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id", *carry]))
-    of = linked(prints, radius).withColumnRenamed("fp", "_fp")
+    of = linked(prints, radius, **how).withColumnRenamed("fp", "_fp")
     # rows and classes are both dealt by the fingerprint; a hot one is a skewed join
     return prints.join(of, F.col("fp") == F.col("_fp")).select("doc_id", *carry, "fp", F.col("component").alias("component_id"))
 

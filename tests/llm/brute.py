@@ -118,23 +118,20 @@ def simhash(text):
 
 
 def near_prints(rows, radius=4):
-    """rows: (doc_id, text).  {doc_id: (fingerprint, component_id)} for ids that are not
-    null; rows of one id are one node."""
+    """rows: (doc_id, text).  (doc_id, fingerprint, component_id) of each.  Nodes are ids
+    and fingerprints; a null id adds no node."""
     prints = [(i, simhash(t)) for i, t in rows]
-    fp = np.array([p for _, p in prints], "u8")
-    by_print = defaultdict(list)
-    for k, (i, p) in enumerate(prints):
+    own = sorted({p for _, p in prints})
+    groups = Groups([*((0, i) for i, _ in prints if i is not None), *((1, p) for p in own)])
+    for i, p in prints:
         if i is not None:
-            by_print[p].append(i)
-    groups = Groups({i for i, _ in prints if i is not None})
-    for ids in by_print.values():
-        for i in ids:
-            groups.join(ids[0], i)
-    own = np.array(list(by_print), "u8")
+            groups.join((0, i), (1, p))
     for k, p in enumerate(own):
-        for m in np.flatnonzero(np.bitwise_count(own[k + 1 :] ^ p) <= radius):
-            groups.join(by_print[int(p)][0], by_print[int(own[k + 1 + m])][0])
-    return [(i, format(p, "016x"), groups.of(i) if i is not None else None) for i, p in prints]
+        for q in own[k + 1 :]:
+            if (p ^ q).bit_count() <= radius:
+                groups.join((1, p), (1, q))
+    root = {p: groups.of((1, p)) for p in own}
+    return [(i, format(p, "016x"), root[p][1] if root[p][0] == 0 else None) for i, p in prints]
 
 
 def best_fit(pieces, capacity):

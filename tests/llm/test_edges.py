@@ -59,20 +59,29 @@ def test_texts_without_repeats(docs_of):
     assert got == {1: p, 2: "before\nafter", 3: "kept  as\nit is"}
 
 
-def test_simhash(docs_of):
-    found = simhash.near_duplicates(docs_of(EDGE)).collect()
-    got = [(r["doc_id"], format(r["fp"] % 2**64, "016x"), r["component_id"]) for r in found if r["doc_id"] is not None]
-    assert set(got) == {x for x in brute.near_prints(EDGE) if x[0] is not None}
-    assert len(found) == len(EDGE)
-
-
-@pytest.mark.parametrize("block", [8, 1024])
-def test_simhash_links_of_any_group(spark, block):
-    r = np.random.default_rng(3)
-    seeds = r.integers(0, 2**63, 40, dtype="u8")
-    prints = [int(s) ^ int(sum(1 << int(b) for b in r.choice(64, r.integers(0, 4), replace=False))) for s in seeds for _ in range(12)]
+@pytest.mark.parametrize("how", [{}, {"leaf": 2, "shard_rows": 1, "most_home": 2}])
+def test_simhash(docs_of, how):
+    rows = [*EDGE, (5, text(90)), (30, near(text(90))), (30, text(91)), (29, text(91)), (None, text(92)), (None, text(92))]
+    got = [(r["doc_id"], format(r["fp"] % 2**64, "016x"), r["component_id"]) for r in simhash.near_duplicates(docs_of(rows), **how).collect()]
+    assert ordered(got) == ordered(brute.near_prints(rows))
+
+
+def test_simhash_ids_with_several_texts(spark):
+    a, b = 0x0F0F0F0F0F0F0F0F, -0x0F0F0F0F0F0F0F0F
+    df = spark.createDataFrame([(1, a), (5, a), (5, b), (9, b)], "doc_id long, fp long")
+    assert {r["fp"]: r["component"] for r in simhash.linked(df).collect()} == {a: 1, b: 1}
+
+
+def prints_around(seeds, each, seed=3):
+    r = np.random.default_rng(seed)
+    return [int(s) ^ int(sum(1 << int(b) for b in r.choice(64, r.integers(0, 4), replace=False))) for s in r.integers(0, 2**63, seeds, dtype="u8") for _ in range(each)]
+
+
+@pytest.mark.parametrize(("seeds", "each", "how"), [(40, 12, {}), (40, 12, {"leaf": 4, "shard_rows": 5, "most_home": 3}), (2, 300, {"leaf": 16})])
+def test_simhash_links_of_any_group(spark, seeds, each, how):
+    prints = prints_around(seeds, each)
     df = spark.createDataFrame([(i, p - 2**64 if p >= 2**63 else p) for i, p in enumerate(prints)], "doc_id long, fp long")
-    got = {x["fp"] % 2**64: x["component"] for x in simhash.linked(df, block=block).collect()}
+    got = {x["fp"] % 2**64: x["component"] for x in simhash.linked(df, **how).collect()}
     groups = brute.Groups(range(len(prints)))
     for a in range(len(prints)):
         for b in range(a):
@@ -81,14 +90,18 @@ def test_simhash_links_of_any_group(spark, block):
     assert all(got[p] == groups.of(i) for i, p in enumerate(prints))
 
 
-def test_vantage_trees_miss_nothing():
-    r = np.random.default_rng(5)
-    points = r.integers(0, 2**63, 500, dtype="u8")
-    tree = simhash.VPTree(points)
-    own = dict(zip(*(x.tolist() for x in tree.route(points, 0)), strict=True))
-    i, leaf = tree.route(points ^ np.uint64(0b1011), 3)
-    reached = set(zip(i.tolist(), leaf.tolist(), strict=True))
-    assert all((k, own[k]) in reached for k in range(len(points)))
+def test_vantage_trees_miss_nothing_and_prune():
+    points = np.random.default_rng(5).integers(0, 2**63, 4000, dtype="u8")
+    tree = simhash.VPTree(points, 16)
+    home = tree.home(points)
+    assert all((home[i] == k).all() for k, i in enumerate(tree.leaves))
+    visited = np.zeros((len(points), len(tree.leaves)), bool)
+    for leaf, i in tree.visits(points ^ np.uint64(0b1011), 3):
+        visited[i, leaf] = True
+    assert visited[np.arange(len(points)), home].all()
+    assert visited.mean() < 0.4  # of the leaves, even of points without any order
+    pairs = {(int(a), int(b)) for i, j in simhash.near_pairs(points, tree, points ^ np.uint64(1 << 40), 1) for a, b in zip(i, j)}
+    assert pairs == {(k, k) for k in range(len(points))}
 
 
 def test_licenses(docs_of):
