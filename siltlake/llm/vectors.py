@@ -23,14 +23,30 @@ def doubles(col: pa.Array) -> list[np.ndarray | None]:
     return [None if z or bad[e] > bad[e - n] else values[e - n : e] for z, n, e in zip(null, lens.tolist(), ends.tolist(), strict=True)]
 
 
+def packed(v: np.ndarray) -> bytes:
+    """A vector in four bytes a component if that is exact, else in eight; equal vectors
+    are equal bytes."""
+    with np.errstate(over="ignore"):
+        half = v.astype("<f4")
+    return b"\x04" + half.tobytes() if (half == v).all() else b"\x08" + v.astype("<f8").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<f4" if data[0] == 4 else "<f8", offset=1).astype("f8")
+
+
+def dimension(data: bytes) -> int:
+    return (len(data) - 1) // data[0]
+
+
 def as_bytes(df: DataFrame, column: str, carry: list[str], make=lambda v: v) -> DataFrame:
-    """carry columns and vec: the bytes of ``make`` of each vector, null where that or the
+    """carry columns and vec: ``make`` of each vector, packed; null where that or the
     vector is None."""
     names = [*carry, "vec"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [None if v is None else make(v) for v in doubles(b.column(0))]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([None if v is None else v.tobytes() for v in made], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([None if v is None else packed(v) for v in made], pa.binary())], names=names)
 
     return df.select(F.col(column).alias("_vector"), *carry).mapInArrow(run, df.select(*carry).schema.add("vec", "binary"))

@@ -38,29 +38,40 @@ class Groups:
 
 
 def near_vectors(rows, threshold=0.93):
-    """rows: (vec_id, vector, label).  {vec_id: (n_links, component_id)} and the links."""
-    ok = [(i, np.array(v, "f8"), lab) for i, v, lab in rows if lab is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)]
-    groups, links = Groups(i for i, *_ in rows), set()
-    for lab in {x[2] for x in ok}:
-        own = [x for x in ok if x[2] == lab]
-        m = np.array([v / np.sqrt((v * v).sum()) for _, v, _ in own])
+    """rows: (vec_id, vector, label).  (vec_id, n_links, component_id, kept) of each row,
+    and the number of links."""
+    ok = lambda v: bool(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)
+    kinds = {}
+    for k, (_, v, lab) in enumerate(rows):
+        if lab is not None and ok(v):
+            kinds.setdefault((lab, len(v)), []).append(k)
+    groups, n, links = Groups(range(len(rows))), [0] * len(rows), 0
+    for own in kinds.values():
+        m = np.array([rows[k][1] for k in own], "f8")
+        m /= np.abs(m).max(1, keepdims=True)
+        m /= np.sqrt((m * m).sum(1, keepdims=True))
         for a, b in zip(*np.nonzero(np.triu(m @ m.T >= threshold, 1))):
-            links.add((own[a][0], own[b][0]))
-            groups.join(own[a][0], own[b][0])
-    n = defaultdict(int)
-    for a, b in links:
-        n[a] += 1
-        n[b] += 1
-    return {i: (n[i], groups.of(i)) for i, *_ in rows}, links
+            a, b = own[a], own[b]
+            groups.join(a, b)
+            n[a] += 1
+            n[b] += 1
+            links += 1
+    least = {}
+    for k, (i, *_) in enumerate(rows):
+        if i is not None:
+            least[groups.of(k)] = min(least.get(groups.of(k), i), i)
+    comp = [least.get(groups.of(k), i) for k, (i, *_) in enumerate(rows)]
+    return [(i, n[k], comp[k], i == comp[k]) for k, (i, *_) in enumerate(rows)], links
 
 
 def topk(rows, k=20, every=20):
-    """rows: (vec_id, vector).  Set of (query_id, rank, vec_id, score)."""
+    """rows: (vec_id, vector).  Set of (query_id, rank, vec_id, score); vectors meet those of
+    their length."""
     ok = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = set()
     for q, a in ok:
         if q % every == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b)), c) for c, b in ok if c != q)[:k]
+            best = sorted((-sum(x * y for x, y in zip(a, b)), c) for c, b in ok if c != q and len(a) == len(b))[:k]
             out |= {(q, r, c, -s) for r, (s, c) in enumerate(best, 1)}
     return out
 

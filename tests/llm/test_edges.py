@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns,
 each result held against brute force."""
 
+import math
 import random
 
 import brute
@@ -191,36 +192,76 @@ def test_packing_is_best_fit(seed):
     assert packing.pack_group(pieces, 100) == brute.best_fit(pieces, 100)
 
 
-VECTORS = [(i, np.random.default_rng(i % 17).normal(size=8).tolist(), i % 3) for i in range(90)]
-VECTORS += [(90, None, 1), (91, [0.0] * 8, 1), (92, [1.0] * 7 + [None], 1), (93, [float("nan")] * 8, 1), (94, [float("inf")] * 8, 1), (95, VECTORS[0][1], None)]
-VECTORS += [(96 + k, [x * (1 + 0.01 * k) + 0.02 * k for x in VECTORS[0][1]], 0) for k in range(20)]
-VECTORS += [(120, [-0.0] * 7 + [1.0], 2), (121, [0.0] * 7 + [1.0], 2), (140, [1e300] * 8, 2), (160, [], 2)]
+def turned(v, cosine, r):
+    """A vector at ``cosine`` to v."""
+    v = np.array(v) / np.linalg.norm(v)
+    w = r.normal(size=len(v))
+    w -= (w @ v) * v
+    return (cosine * v + math.sqrt(1 - cosine**2) * w / np.linalg.norm(w)).tolist()
 
 
-def vectors(spark, rows):
-    return spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, label int, vec string, id int")
-
-
-@pytest.mark.parametrize("block", [6, 1024])
-def test_near_vectors(spark, block):
-    want, links = brute.near_vectors([r for r in VECTORS if r[0] != 140])
-    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in itq.near_vectors(vectors(spark, [r for r in VECTORS if r[0] != 140]), block=block).collect()}
-    assert set(got) == set(want)
-    assert sum(n for n, _ in got.values()) >= 0.9 * 2 * len(links)  # the index's recall
-    assert all(got[i][0] <= want[i][0] for i in want)
-    assert {r["vec_id"] for r in itq.near_vectors(vectors(spark, VECTORS)).collect()} == {r[0] for r in VECTORS}
+def vectors_of(dim, n=90):
+    r = np.random.default_rng(dim)
+    seeds = r.normal(size=(17, dim)).tolist()
+    out = [(i, seeds[i % 17], i % 3) for i in range(n)]
+    out += [(n + k, (np.array(turned(seeds[k % 5], 0.9995, r)) * (k + 1)).tolist(), k % 3) for k in range(30)]
+    return [*out, (200, seeds[0], None), (201, [-0.0] * (dim - 1) + [1.0], 2), (202, [0.0] * (dim - 1) + [2.0], 2)]
 
 
-def test_near_vectors_repeated_rows(spark):
-    rows = [(1, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (2, [1.0, 2.0], 1), (3, [1.0, 2.0], 2), (None, [1.0, 2.0], 1)]
-    got = ordered(tuple(r) for r in itq.near_vectors(vectors(spark, rows)).collect())
-    assert got == [(None, 3, 1, False), (1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 0, 3, True)]
+ODD = [
+    (300, None, 1), (301, [0.0] * 8, 1), (302, [1.0] * 7 + [None], 1), (303, [float("nan")] * 8, 1), (304, [float("inf")] * 8, 1), (140, [1e300] * 8, 2), (160, [], 2),
+    (1, [3.0, 4.0], 0), (1, [-3.0, 4.0], 0), (7, [3.1, 4.0], 0), (None, [3.0, 4.05], 0), (None, [9.0, 1.0, 1.0], 2), (None, [9.0, 1.0, 1.0], 2), (2000, [1.0], 1),
+]
 
 
-def test_topk(spark):
-    rows = [r for r in VECTORS if r[0] != 140 and r[1] != []]
-    got = {tuple(r) for r in topk.search(vectors(spark, rows)).collect()}
-    assert got == brute.topk([(i, v) for i, v, _ in rows])
+def vectors(spark, rows):
+    return spark.createDataFrame([(*r, "x", 1, 2, 3) for r in rows], "vec_id long, embedding array<double>, label int, vec string, id int, n int, node int")
+
+
+@pytest.mark.parametrize("how", [{}, {"block": 6}, {"tables": (4, 1), "block": 50}, {"tables": (3, 2)}])
+def test_near_vectors(spark, how):
+    rows = [*vectors_of(64), *vectors_of(8), *ODD]
+    want, _ = brute.near_vectors(rows)
+    assert ordered(tuple(r) for r in itq.near_vectors(vectors(spark, rows), **how).collect()) == ordered(want)
+
+
+@pytest.mark.parametrize("tables", [t[1:] for t in itq.TABLES])
+def test_recall_of_the_index(spark, tables):
+    """Links at cosines from 0.93 to 0.99, and many other vectors."""
+    r = np.random.default_rng(11)
+    rows = [(i, r.normal(size=64).tolist(), 1) for i in range(1500)]
+    rows += [(5000 + 4 * i + k, turned(rows[i][1], c, r), 1) for i in range(300) for k, c in enumerate((0.9301, 0.95, 0.97, 0.99))]
+    want, links = brute.near_vectors(rows)
+    got = {x["vec_id"]: x["n_links"] for x in itq.near_vectors(vectors(spark, rows), tables=tables).collect()}
+    assert all(got[i] <= n for i, n, *_ in want)
+    assert sum(got.values()) >= 0.9 * 2 * links
+
+
+def test_probes_meet_every_near_substring():
+    mask, r = itq.cuts(64, 4)[1], np.random.default_rng(2)
+    a = r.integers(0, 2**63, 200, dtype="u8") & mask
+    bits = np.array([1 << int(k) for k in np.flatnonzero([int(mask) >> b & 1 for b in range(64)])], "u8")
+    for errors in (1, 2):
+        b = a.copy()
+        for _ in range(errors):
+            b ^= bits[r.integers(0, len(bits), len(b))]
+        goes = lambda x: {(int(s), k) for sub, of in [(x, np.arange(len(x))), *itq._probes(x, mask, errors)] for s, k in zip(sub, of.tolist())}
+        of_a, of_b = goes(a), goes(b)
+        assert all((int(b[k]), k) in of_a or (int(a[k]), k) in of_b for k in range(len(a)))
+
+
+@pytest.mark.parametrize("how", [{}, {"block": 7, "queries": 3}])
+def test_topk(spark, how):
+    rows = [(i, v) for i, v, _ in [*vectors_of(16), *((i + 1000, *r) for i, *r in vectors_of(8, 60)), *ODD] if v != [1e300] * 8]
+    got = sorted(tuple(r) for r in topk.search(vectors(spark, [(*r, 0) for r in rows]), **how).collect())
+    assert got == sorted(brute.topk(rows))
+
+
+def test_topk_of_huge_components(spark):
+    rows = [(20 * i, [float(2**18 * (i + 1) + i % 3), 3.0 * i], 0) for i in range(30)]
+    assert {tuple(r) for r in topk.search(vectors(spark, rows), k=5).collect()} == brute.topk([(i, v) for i, v, _ in rows], k=5)
+    more = topk.search(vectors(spark, [*rows, (1, [1e300, 1.0], 0)]), k=5).collect()
+    assert {r["query_id"] for r in more} == {i for i, *_ in rows} and max(r["score"] for r in more) == 2**63 - 1
 
 
 def test_topk_fewer_rows_and_ties(spark):
