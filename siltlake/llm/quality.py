@@ -98,7 +98,9 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, k: int, held: int, bound: int) -> DataFrame:
     """doc_id, text, y of at most ``bound`` labelled rows outside the held-out fold,
-    those of the smallest hash of the id.  Their ids are few enough to broadcast."""
+    those of the smallest hash of the id.  Their ids are few enough to broadcast.  An
+    id with several labels has the larger one; one that several documents have
+    teaches once, by the least of their texts."""
     some = (
         labels.where(F.col(label).isin(0, 1) & (fold("doc_id", k) != held))
         .groupBy("doc_id")
@@ -106,7 +108,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, k: int, held: int,
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(bound)
     )
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some.select(F.col("doc_id").cast("long").alias("doc_id"), "y")), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some.select(F.col("doc_id").cast("long").alias("doc_id"), "y")), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
