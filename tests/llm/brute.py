@@ -145,6 +145,27 @@ def near_prints(rows, radius=4):
     return [(i, format(p, "016x"), root[p][1] if root[p][0] == 0 else None) for i, p in prints]
 
 
+def shingled(text, k=5):
+    w = SPACE.findall((text or "").translate(LOWER))
+    return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+def near_copies(rows, similarity=0.8):
+    """rows: (doc_id, text).  The ids of the first document of each group that shingle sets
+    of this Jaccard join."""
+    sets = [shingled(t) for _, t in rows]
+    holders = defaultdict(list)
+    for k, s in enumerate(sets):
+        for x in s or [None]:
+            holders[x].append(k)
+    groups = Groups(range(len(rows)))
+    for k, s in enumerate(sets):
+        for m in {m for x in s or [None] for m in holders[x] if m < k}:
+            if len(s & sets[m]) >= similarity * len(s | sets[m]):
+                groups.join(k, m)
+    return sorted({rows[groups.of(k)][0] for k in range(len(rows))})
+
+
 def best_fit(pieces, capacity):
     """pieces: (size, source, cluster) in order.  A linear search for the tightest
     compatible bin (ties: the bin opened first): (bin, offset) of each."""

@@ -27,7 +27,7 @@ def test_pipeline(spark):
     left = {i for i, s in score(quality, docs).items() if s >= quality.CUT}
     kept = docs.where(docs.doc_id.isin(sorted(left)))
     left = {i for i, s in score(toxicity, kept).items() if s < toxicity.CUT}
-    left = {i for i, _, c in brute.near_prints([(i, rows[i][0]) for i in sorted(left)]) if i == c}
+    left = set(brute.near_copies([(i, rows[i][0]) for i in sorted(left)]))
     cut = brute.passages([(i, rows[i][0]) for i in sorted(left)])
     words = {i: n - gone for i, n, gone, _ in cut if not gone or n > gone}
     got = {}
