@@ -37,13 +37,42 @@ def test_pipeline(spark):
     assert got == words
 
 
-def test_stages_on_an_empty_table_and_odd_rows(spark, tmp_path):
-    schema = table(spark, SF, "documents").schema
-    odd = [(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, "word " * 30, None, None, 150), (2, "word " * 30, None, None, 150)]
-    for k, rows in enumerate(([], odd)):
-        at = f"{tmp_path}/{k}"
-        spark.createDataFrame(rows, schema).write.parquet(f"{at}/documents.parquet")
-        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
-        for _, stage in corpus_pipeline.STAGES:
-            found = stage(spark, table(spark, at, "documents"), at)
-            assert bool(found.collect()) == bool(rows)
+LONG = " ".join(f"t{k}" for k in range(5000))
+TALE = " ".join(f"u{k}" for k in range(40))
+ODD = [
+    (None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, "word " * 30, None, None, 150), (2, "word " * 30, None, None, 150),
+    (None, "one of a kind", "en", "a", 13), (None, "another one", "en", "a", 11), (3, LONG, "en", "b", 5), (3, "same id, not the text", "en", "b", 5), (4, f"x {TALE} y z", "en", "b", 7),
+    (5, TALE + " and " + " ".join(f"v{k}" for k in range(40)), "en", "b", 9), (None, TALE + " " + " ".join(f"w{k}" for k in range(50)), "en", None, 1),
+]
+
+
+def stages(spark, at, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'x' AS _key", "1 AS component", "2 AS score", "3 AS words")
+    docs.write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    return {name: stage(spark, table(spark, at, "documents"), at) for name, stage in corpus_pipeline.STAGES}
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    for name, found in stages(spark, str(tmp_path), []).items():
+        assert found.collect() == [], name
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    found = stages(spark, str(tmp_path), ODD)
+    count = lambda rows: sorted(map(repr, map(tuple, rows)))
+    for name in ("quality classifier", "toxicity", "SimHash near-dedup", "substring dedup"):
+        assert found[name].columns == corpus_pipeline.COLUMNS
+    for name in ("quality classifier", "toxicity"):
+        assert count(found[name].collect()) == count(ODD)
+    assert count(found["SimHash near-dedup"].collect()) == count(r for k, r in enumerate(ODD) if k not in (0, 2, 4))
+    without = " and " + " ".join(f"v{k}" for k in range(40))
+    got = {(r["doc_id"], r["n_chars"]): r["text"] for r in found["substring dedup"].collect() if r["doc_id"] in (4, 5)}
+    assert got == {(4, 7): ODD[9][1], (5, len(without.strip())): without.strip()}
+    assert count(r for r in found["substring dedup"].collect() if r["doc_id"] != 5) == count(r for r in ODD if r[0] != 5)
+    pieces = found["best-fit packing"].collect()
+    assert sum(r["n_words"] for r in pieces) == sum(len((r[1] or "").split()) for r in ODD)
+    assert sorted(r["n_words"] for r in pieces if r["doc_id"] == 3) == [5, 904, 2048, 2048]
+    assert sum(r["bin_id"] is None for r in pieces) == 3
+    twice = [r["bin_id"] for r in pieces if r["doc_id"] == 2]
+    assert len(twice) == len(set(twice)) == 2
