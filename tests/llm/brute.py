@@ -105,17 +105,16 @@ def license_base(text, phrases):
     return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
 
 
-def license_added(text, templates, threshold):
-    """Labels and the best containment over lines."""
-    labels, best = set(), 0.0
-    for line in (text or "").split("\n"):
-        have = set(TERM.findall(line.translate(LOWER)))
-        for label, t in templates:
-            want = set(t.split())
-            part = len(have & want) / len(want)
-            if len(have & want) >= math.ceil(threshold * len(want) - 1e-9):
-                labels.add(label)
-                best = max(best, part)
+def license_added(text, templates):
+    """Labels and the best containment over runs of words (templates as prepared)."""
+    words, labels, best = TERM.findall((text or "").translate(LOWER)), set(), 0.0
+    for t in templates:
+        for k, w in enumerate(words):
+            if w in t.tokens:
+                have = set(words[k : k + t.run]) & set(t.tokens)
+                if len(have) >= t.need and have >= set(t.required):
+                    labels.add(t.label)
+                    best = max(best, len(have) / len(t.tokens))
     return labels, best
 
 

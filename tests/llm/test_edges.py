@@ -107,7 +107,7 @@ def test_vantage_trees_miss_nothing_and_prune():
 
 def test_licenses(docs_of):
     for r, (i, t) in zip(sorted(licenses.scan(docs_of([(k, t) for k, (_, t) in enumerate(EDGE)])).collect()), EDGE, strict=True):
-        base, (added, best) = brute.license_base(t, licenses.PHRASES), brute.license_added(t, licenses.TEMPLATES, licenses.THRESHOLD)
+        base, (added, best) = brute.license_base(t, licenses.PHRASES), brute.license_added(t, licenses.prepared(licenses.TEMPLATES, licenses.THRESHOLD))
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == base, (i, t)
         assert r["labels"] == ",".join(sorted(added | {x for x in base[4].split(",") if x}))
         assert r["score"] == (1.0 if base[1] else best)
