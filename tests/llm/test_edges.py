@@ -130,6 +130,41 @@ def test_sharding(docs_of):
     assert [r["hilbert"] for r in order] == sorted(r["hilbert"] for r in out)
 
 
+def test_copies_are_neighbours(docs_of):
+    rows = [(i, f"copy {i % 7}", "a") for i in range(300)] + [(None, "copy 1", "a")] * 40
+    out = sorted(sharding.shard(docs_of(rows), 4).collect(), key=lambda r: (r["shard"], r["slot"]))
+    seen = [r["text_crc32"] for r in out]
+    assert sum(a != b for a, b in zip(seen, seen[1:])) == len(set(seen)) - 1
+
+
+def test_written_shards_hold_every_row_and_prune(spark, tmp_path):
+    """All rows are there, null and repeated ids too; statistics of language and length
+    together leave few files to read."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    r = random.Random(9)
+    rows = [(i if i % 5 else (None if i % 2 else 1), "x" * int(2 ** (3 + 9 * r.random())), f"l{r.randrange(8)}", f"s{r.randrange(8)}") for i in range(4000)]
+    docs = spark.createDataFrame([(*x, len(x[1]), "clash") for x in rows], "doc_id long, text string, lang string, source string, n_chars long, _row string")
+    sharding.write_shards(docs, f"{tmp_path}/out", 16, file_rows=50)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.columns == [*docs.columns, "_shard"]
+    assert sorted(map(repr, map(tuple, back.drop("_shard").collect()))) == sorted(map(repr, map(tuple, docs.collect())))
+    files = glob.glob(f"{tmp_path}/out/*/*.parquet")
+    assert all(pq.read_metadata(f).num_rows <= 50 for f in files) and len(files) >= 80
+    ranges = []
+    for f in files:
+        g = pq.read_metadata(f).row_group(0)
+        s = {g.column(k).path_in_schema: g.column(k).statistics for k in range(g.num_columns)}
+        ranges.append((s["lang"].min, s["lang"].max, s["n_chars"].min, s["n_chars"].max))
+    meets = lambda lang, low, high: sum(a <= lang <= b and c <= high and d >= low for a, b, c, d in ranges) / len(ranges)
+    both = np.mean([meets(f"l{k}", low, 2 * low) for k in range(8) for low in (16, 256)])
+    one = np.mean([meets(f"l{k}", 0, 10**9) for k in range(8)])
+    other = np.mean([sum(c <= 2 * low and d >= low for _, _, c, d in ranges) / len(ranges) for low in (16, 256)])
+    assert one < 0.6 and other < 0.8 and both < 0.45 and both < min(one, other)
+
+
 def test_hilbert_curve_steps_to_neighbours():
     bits, dims = 3, 3
     at = sorted((h, c) for c, h in enumerate(sharding.curve(bits, dims)))
