@@ -15,6 +15,7 @@ from .fmindex import FMIndex
 WINDOW = 13
 GRAM = 4  # words whose hash routes a window
 CHUNK_BYTES = 8 << 20
+SPLIT = 4  # shards for each shuffle partition: what is held at once is a shard
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Half of a minimizer's hash is sent: two that share it are only compared needlessly.
 HEAD = np.dtype([("mz", "<u4"), ("doc", "<i8"), ("text", "<i4"), ("at", "<i4"), ("words", "<u4"), ("size", "<u4")])
@@ -141,8 +142,9 @@ def unpacked(data: bytes) -> tuple[np.ndarray, bytes]:
 def repeats(head: np.ndarray, texts: list[bytes], window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(record, from, to): the intervals of the segments of one shard that stand in a
     smaller document.  Segments of equal text are one, of the smallest document; the
-    others lie in it whole.  What then shares a minimizer is indexed, and every
-    window of it is searched backwards."""
+    others lie in it whole, and go without the index.  What then shares a minimizer is
+    indexed; texts are streamed through it, and reported is where their matching
+    statistics reach the window in a range with a smaller document."""
     order = np.lexsort((head["at"], head["doc"]))
     owner: dict[bytes, int] = {}
     same: dict[int, list[int]] = {}
@@ -162,27 +164,20 @@ def repeats(head: np.ndarray, texts: list[bytes], window: int) -> Iterator[tuple
     text = np.array([x for ws in split for x in (*(symbol.setdefault(w, len(symbol) + 1) for w in ws), 0)])
     lens = np.array([len(ws) for ws in split])
     first = np.cumsum(lens + 1) - lens - 1
-    doc = head["doc"][contents]
-    index = FMIndex(text, window)
-    # a window is searched for unless its document is the smallest that has the minimizer
+    doc_ids, doc = np.unique(head["doc"][contents], return_inverse=True)
+    index = FMIndex(text, np.repeat(doc, lens + 1), window)
+    # a text is streamed unless its document is the smallest that has the minimizer
     _, group = np.unique(head["mz"][contents], return_inverse=True)
-    least = np.full(group.max() + 1, np.iinfo("i8").max)
+    least = np.full(group.max() + 1, len(doc_ids))
     np.minimum.at(least, group, doc)
     ask = np.flatnonzero(doc > least[group])
     per = lens[ask] - window + 1
     of = np.repeat(ask, per)
     off = np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)
-    which, low, high = index.windows(text, first[of] + off, window)
-    if not len(which):
-        return
-    # the smallest document in each range; equal windows have equal ranges
-    docs_at = np.append(np.repeat(doc, lens + 1)[index.sa], np.iinfo("i8").max)
-    ranges, back = np.unique(low, return_inverse=True)
-    upper = np.zeros(len(ranges), "i8")
-    upper[back] = high
-    smallest = np.minimum.reduceat(docs_at, np.stack([ranges, upper], 1).reshape(-1))[::2]
-    hit = smallest[back] < doc[of[which]]
-    of, off = of[which[hit]], off[which[hit]]
+    length, low, high = index.matching_statistics(text, first[of] + off + window, window)
+    long = np.flatnonzero(length >= window)
+    hit = long[index.least_owner(low[long], high[long]) < doc[of[long]]]
+    of, off = of[hit], off[hit]
     cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(of) else []
     for x, y in zip(cut, cut[1:]):
         for k in same[int(contents[of[x]])]:
@@ -226,7 +221,7 @@ def _search(window: int):
 def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, text_key, spans (pairs of word numbers, packed) of what is repeated."""
     spark = docs.sparkSession
-    cut = docs.select("doc_id", F.hash("text").alias("text_key"), "text").mapInArrow(_cut(parts(spark), window, gram, chunk_bytes), ROUTED)
+    cut = docs.select("doc_id", F.hash("text").alias("text_key"), "text").mapInArrow(_cut(SPLIT * parts(spark), window, gram, chunk_bytes), ROUTED)
     return cut.groupBy("shard").applyInArrow(_search(window), SPANS)
 
 
@@ -253,9 +248,12 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Words are runs of other than ASCII white space.  Removed is each word covered by a
     window of ``window`` words that also starts in a document with a smaller id.
-    Windows are routed by their minimizer, so equal ones meet in one shard; there an
-    FM-index answers which occur in a smaller document.  Nothing is capped: a hot
-    passage reaches a shard once a chunk of documents.
+    Windows are routed by their minimizer, so equal ones meet in one shard.  Segments
+    (runs of windows with one minimizer) of equal text are settled by a table of texts,
+    in a chunk of documents before they are sent and in the shard (most of what
+    repeats: whole copies); what is left and shares a minimizer goes through the shard's
+    FM-index, whose matching statistics tell which windows a smaller document has.
+    Nothing is capped: a hot passage reaches a shard once a chunk of documents.
 
     Nulls: a null text has no words; a row with a null id loses nothing and takes
     nothing away.  Rows that repeat an id don't take from one another.  Texts of fewer

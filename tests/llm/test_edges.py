@@ -53,6 +53,26 @@ def test_passages_many(docs_of):
     assert ordered(tuple(x) for x in substrings.digests(docs_of(rows)).collect()) == ordered(want)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_matching_statistics(seed):
+    """Against a search of every length, and of owners."""
+    from siltlake.llm.fmindex import FMIndex
+
+    r = np.random.default_rng(seed)
+    parts_ = [r.integers(1, 5, r.integers(1, 60)) for _ in range(12)]
+    t = np.concatenate([np.append(p, 0) for p in parts_])
+    owner = np.repeat(r.permutation(12), [len(p) + 1 for p in parts_])
+    index, ends = FMIndex(t, owner, 6), np.arange(1, len(t) + 1)
+    length, low, high = index.matching_statistics(t, ends, 6)
+    where = lambda p: [k for k in range(len(t) - len(p) + 1) if (t[k : k + len(p)] == p).all()]
+    for e, n in zip(ends.tolist(), length.tolist()):
+        want = max((m for m in range(1, min(6, e) + 1) if (t[e - m : e] > 0).all() and len(where(t[e - m : e])) >= 2), default=0)
+        assert n == want
+    full = np.flatnonzero(length == 6)
+    got = index.least_owner(low[full], high[full])
+    assert got.tolist() == [min(owner[k] for k in where(t[e - 6 : e])) for e in ends[full].tolist()]
+
+
 def test_texts_without_repeats(docs_of):
     p = text(50, 20)
     rows = [(1, p), (2, f"before\n{p}\tafter"), (3, "kept  as\nit is")]
