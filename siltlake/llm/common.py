@@ -63,6 +63,13 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield b.slice(k, rows)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of few rows in this session, so that executors hold few texts at once.
+    For programs, which own their session (the registered queries, the pipeline);
+    operators leave it alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def fold(col: str, k: int) -> Column:
     """crc32 of the id as text, modulo k; null for a null id."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(k)

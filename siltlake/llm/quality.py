@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import checkpointed, fold, slices, table
+from .common import checkpointed, fold, slices, small_batches, table
 
 SAMPLE = 20_000  # labelled rows that are fitted, at most (the first by hash of the id)
 FEATURES = 512
@@ -209,6 +209,7 @@ def classify(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFra
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import slices, table, written
+from .common import slices, small_batches, table, written
 from .graph import components
 from .pairs import joined
 
@@ -236,6 +236,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, carry: list[str] | No
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
 

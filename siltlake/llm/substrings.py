@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import parts, slices, table
+from .common import parts, slices, small_batches, table
 from .fmindex import FMIndex
 
 WINDOW = 13
@@ -299,6 +299,7 @@ def without_repeats(docs: DataFrame, carry: list[str], window: int = WINDOW) ->
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return digests(table(spark, sf_dir, "documents"))
 
 

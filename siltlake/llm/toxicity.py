@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import fold, pack, slices, table, unpack, written
+from .common import fold, pack, slices, small_batches, table, unpack, written
 from .quality import labelled
 
 BUCKETS = 1 << 16
@@ -293,6 +293,7 @@ def classify(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFra
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
