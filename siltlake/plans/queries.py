@@ -124,9 +124,13 @@ def memtable_scan_raw(s, d):
     return read.raw_scan(event_log(s, d).where("flush = 0"), 0, 1000, raw_value())
 
 
-@query("memtable_get", "SELECT key, value, deleted FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log WHERE flush = 0) WHERE rn = 1 AND key % 3 = 0")
+@query("memtable_get", "SELECT flush, key, CASE WHEN deleted THEN -9223372036854775807 - 1 ELSE value END AS value FROM (SELECT *, row_number() OVER (PARTITION BY flush, key ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1")
 def memtable_get(s, d):
-    return read.resolve(event_log(s, d).where("flush = 0 and key % 3 = 0"), False).select("key", "value", "deleted")
+    """Every key asked of the memtable of every flush, raw."""
+    log = event_log(s, d)
+    newest = log.groupBy("flush", "key").agg(F.max_by("value", "seq").alias("value"), F.max_by("deleted", "seq").alias("deleted"))
+    asked = log.select("flush", "key").distinct()
+    return asked.join(newest, ["flush", "key"], "left").select("flush", "key", raw_value().alias("value"))
 
 
 @query("memtable_traverse", "SELECT flush, key, value, deleted FROM (SELECT *, row_number() OVER (PARTITION BY flush, key ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1")
