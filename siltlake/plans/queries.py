@@ -250,3 +250,8 @@ def write_amplification(s, d):
 def uniform_keys(s, d):
     n = s.read.parquet(f"{d}/events.parquet").count()
     return s.range(n).select(F.floor(F.rand(7) * 1_000_000_000 + 1).alias("key")).select("key", F.col("key").alias("value"))
+
+
+def generated_queries(keys: DataFrame, n: int, seed: int = 7) -> DataFrame:
+    """``n`` of the keys, shuffled; the same for the same seed."""
+    return keys.select("key").orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(n)
