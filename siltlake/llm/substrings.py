@@ -15,7 +15,7 @@ from .fmindex import FMIndex
 WINDOW = 13
 GRAM = 4  # words whose hash routes a window
 CHUNK_BYTES = 8 << 20
-SPLIT = 4  # shards for each shuffle partition: what is held at once is a shard
+SPLIT = 1  # shards for each shuffle partition: more hold less at once, but pack worse
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Half of a minimizer's hash is sent: two that share it are only compared needlessly.
 HEAD = np.dtype([("mz", "<u4"), ("doc", "<i8"), ("text", "<i4"), ("at", "<i4"), ("words", "<u4"), ("size", "<u4")])
