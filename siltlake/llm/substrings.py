@@ -15,6 +15,7 @@ from .fmindex import FMIndex
 WINDOW = 13
 GRAM = 4  # words whose hash routes a window
 CHUNK_BYTES = 8 << 20
+BLOCK_WORDS = 1 << 16  # words that are cut at once, and the rest of a document
 SPLIT = 1  # shards for each shuffle partition: more hold less at once, but pack worse
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Half of a minimizer's hash is sent: two that share it are only compared needlessly.
@@ -58,44 +59,59 @@ def _cut(shards: int, window: int, gram: int, chunk: int):
     shard of its minimizer once a chunk, with the smallest document that has it;
     larger documents of the chunk with the very segment lose it at once."""
 
-    def flush(docs: list[tuple[int, int, list[bytes]]]) -> Iterator[pa.RecordBatch]:
+    def segments(docs: list[tuple[int, int, np.ndarray, bytes]], hashes: np.ndarray, sizes: np.ndarray):
+        """(minimizer, index of docs, from, to, bytes) of the segments of some documents."""
+        at = np.concatenate([d[2] for d in docs])
+        ends = np.cumsum(sizes[at])
+        lens = np.array([len(d[2]) for d in docs])
+        which = np.repeat(np.arange(len(docs)), lens)
+        place, g = minimizers(hashes[at], window, gram)
+        ok = np.flatnonzero(which[: len(place)] == which[window - 1 :])
+        new = np.flatnonzero(np.concatenate([[True], (place[ok][1:] != place[ok][:-1]) | (ok[1:] != ok[:-1] + 1)]))
+        a, b = ok[new], ok[np.append(new[1:] - 1, len(ok) - 1)] + window
+        buf, begins = b" ".join(d[3] for d in docs), np.concatenate([[0], ends])
+        texts = [buf[x:y] for x, y in zip(begins[a].tolist(), (begins[b] - 1).tolist(), strict=True)]
+        first = (np.cumsum(lens) - lens)[which[a]]
+        return g[place[a]], which[a], a - first, b - first, texts
+
+    def flush(docs: list[tuple[int, int, np.ndarray, bytes]], slot: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
         import xxhash
         import zstandard
 
-        docs = sorted((d for d in docs if len(d[2]) >= window), key=lambda d: d[:2])
+        docs = sorted(docs, key=lambda d: d[:2])
         if not docs:
             return
-        slot: dict[bytes, int] = {}
-        at = np.array([slot.setdefault(w, len(slot)) for *_, ws in docs for w in ws])
-        h = np.array([xxhash.xxh64_intdigest(w) for w in slot], "u8")[at]
-        ends = np.cumsum(np.array([len(w) + 1 for w in slot], "i8")[at])
-        begins = np.concatenate([[0], ends])
-        buf = b" ".join(w for *_, ws in docs for w in ws)
-        lens = np.array([len(ws) for *_, ws in docs])
-        first = np.cumsum(lens) - lens
-        which = np.repeat(np.arange(len(docs)), lens)
-        place, g = minimizers(h, window, gram)
-        ok = np.flatnonzero(which[: len(place)] == which[window - 1 :])
-        new = np.flatnonzero(np.concatenate([[True], (place[ok][1:] != place[ok][:-1]) | (ok[1:] != ok[:-1] + 1)]))
-        a, b = ok[new], ok[np.append(new[1:] - 1, len(ok) - 1)] + window
-        mz, doc = g[place[a]], which[a]
-        doc_ids, keys = np.array([d[0] for d in docs], "i8"), np.array([d[1] for d in docs], "i8")
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in slot], "u8")
+        sizes = np.array([len(w) + 1 for w in slot], "i8")
         owner: dict[bytes, int] = {}
-        ids = doc_ids[doc]
-        texts, kept, lost = [], [], []
-        for k, (x, y, i) in enumerate(zip(begins[a].tolist(), (begins[b] - 1).tolist(), ids.tolist(), strict=True)):
-            t = buf[x:y]
-            if owner.setdefault(t, i) == i:
-                kept.append(k)
-                texts.append(t)
-            else:
-                lost.append(k)
-        kept, lost = np.array(kept), np.array(lost, "i8")
-        head = np.zeros(len(kept), HEAD)
-        d = doc[kept]
-        head["mz"], head["doc"], head["text"], head["at"], head["words"] = mz[kept] >> np.uint64(32), doc_ids[d], keys[d], a[kept] - first[d], (b - a)[kept]
-        head["size"] = [len(t) for t in texts]
-        shard = (mz[kept] >> np.uint64(20)) % np.uint64(shards)
+        texts, heads, shard, gone = [], [], [], []
+        # few words at a time, as arrays of each word and window are many times a text
+        edge = np.flatnonzero(np.diff(np.cumsum([len(d[2]) for d in docs]) // BLOCK_WORDS)) + 1
+        for i, j in zip([0, *edge.tolist()], [*edge.tolist(), len(docs)], strict=True):
+            mz, doc, a, b, found = segments(docs[i:j], hashes, sizes)
+            doc += i
+            kept, lost = [], []
+            for k, (d, t) in enumerate(zip(doc.tolist(), found, strict=True)):
+                if owner.setdefault(t, docs[d][0]) == docs[d][0]:
+                    kept.append(k)
+                    texts.append(t)
+                else:
+                    lost.append(k)
+            kept, lost = np.array(kept, "i8"), np.array(lost, "i8")
+            head = np.zeros(len(kept), HEAD)
+            own = doc[kept].tolist()
+            head["mz"], head["doc"], head["text"], head["at"], head["words"] = mz[kept] >> np.uint64(32), [docs[d][0] for d in own], [docs[d][1] for d in own], a[kept], (b - a)[kept]
+            head["size"] = [len(found[k]) for k in kept.tolist()]
+            heads.append(head)
+            shard.append((mz[kept] >> np.uint64(20)) % np.uint64(shards))
+            if len(lost):
+                d = doc[lost]
+                cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1], [True]]))
+                for x, y in zip(cut, cut[1:]):
+                    n, k, *_ = docs[d[x]]
+                    gone.append((n % shards, n, k, merged(a[lost[x:y]], b[lost[x:y]]).tobytes()))
+        del owner
+        head, shard = np.concatenate(heads), np.concatenate(shard)
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(shards + 1, dtype="u8"))
         rows = []
@@ -104,25 +120,22 @@ def _cut(shards: int, window: int, gram: int, chunk: int):
             if len(o):
                 columns = b"".join(np.ascontiguousarray(head[f][o]).view("u1").reshape(len(o), -1).T.tobytes() for f in HEAD.names)
                 rows.append((s, None, None, len(o).to_bytes(4, "little") + zstandard.compress(columns + b"".join([texts[k] for k in o.tolist()]), 3)))
-        if len(lost):
-            d = doc[lost]
-            cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1], [True]]))
-            for x, y in zip(cut, cut[1:]):
-                f = first[d[x]]
-                rows.append((int(doc_ids[d[x]]) % shards, int(doc_ids[d[x]]), int(keys[d[x]]), merged(a[lost[x:y]] - f, b[lost[x:y]] - f).tobytes()))
+        rows += gone
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["shard", "doc_id", "text_key", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, held = [], 0
-        for x in slices(batches):
+        docs, slot, held = [], {}, 0
+        for x in slices(batches, 100):
             for i, k, t in zip(*(x.column(c).to_pylist() for c in range(3)), strict=True):
                 if i is not None and t:
-                    docs.append((i, k, words_of(t)))
+                    words = words_of(t)
+                    if len(words) >= window:  # a word is held once a chunk, texts hold its number
+                        docs.append((i, k, np.array([slot.setdefault(w, len(slot)) for w in words], "i4"), b" ".join(words)))
                     held += len(t)
                 if held >= chunk:
-                    yield from flush(docs)
-                    docs, held = [], 0
-        yield from flush(docs)
+                    yield from flush(docs, slot)
+                    docs, slot, held = [], {}, 0
+        yield from flush(docs, slot)
 
     return run
 
