@@ -20,8 +20,10 @@ SAMPLE_BYTES = 64 << 20  # and bytes of theirs, about
 LEARNT = 8  # dimensions that have a rotation of their own; vectors of others get a random one
 BITS = 64
 ROUNDS = 30
-#: Classes up to which codes are cut into so many substrings, in one of which a pair
-#: may differ by so many bits: longer substrings, as there is more to tell apart.
+#: Settings: codes are cut into so many substrings (the second number), in one of which a
+#: pair may differ by so many bits (the third).  Links that are found depend on it, so
+#: the first holds at every size (it shows all that the second shows of 64 bits); others
+#: are only used if a caller names them (the first number: classes they are meant for).
 TABLES = ((1 << 21, 8, 0), (1 << 26, 4, 1), (1 << 62, 3, 2))
 LINKS = 1 << 20
 
@@ -206,8 +208,8 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec
 
     Rows of one label and one number of components are compared by cosine in double
     precision.  Equal vectors of a label are one class, and only classes are compared:
-    codes that share a substring in one of the tables (up to a number of bits, see
-    ``TABLES``), then those within a Hamming ``radius``, and only for these the
+    codes that share a substring in one of the tables (eight of them at every size, or
+    as ``tables`` says, see ``TABLES``), then those within a Hamming ``radius``, and only for these the
     vectors.  Codes alone are sent to all tables; vectors follow where a row has a
     candidate.  A link counts in the first table that shows it.  The rotations are
     learnt from at most ``sample`` classes; the index holds every class.  Recall is
@@ -226,7 +228,7 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec
     classes = rows.where("vec is not null and label is not null").groupBy("label", "vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
     total, widest = classes.agg(F.count("*"), F.max(F.length("vec"))).first()
-    count, errors = tables or next((t, e) for most, t, e in TABLES if total <= most)
+    count, errors = tables or TABLES[0][1:]
     fit = [bytes(r["vec"]) for r in classes.orderBy(F.xxhash64("vec", "label"), "label", "vec").limit(min(sample, SAMPLE_BYTES // (widest or 1) + 2)).select("vec").collect()]
     by_dim: dict[int, list[bytes]] = {}
     for v in fit:

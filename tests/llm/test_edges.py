@@ -292,6 +292,17 @@ def test_recall_of_the_index(spark, tables):
     assert sum(got.values()) >= 0.9 * 2 * links
 
 
+def test_links_do_not_depend_on_the_number_of_vectors(spark, monkeypatch):
+    """As if there were more vectors than the first setting is meant for."""
+    r = np.random.default_rng(13)
+    rows = [(i, r.normal(size=64).tolist(), 1) for i in range(300)]
+    rows += [(1000 + i, turned(rows[i][1], 0.9301, r), 1) for i in range(300)]
+    of = lambda: ordered(tuple(x) for x in itq.near_vectors(vectors(spark, rows)).collect())
+    want = of()
+    monkeypatch.setattr(itq, "TABLES", tuple((most, *how) for most, (_, *how) in zip((10, 100, 1 << 62), itq.TABLES)))
+    assert of() == want
+
+
 def test_probes_meet_every_near_substring():
     mask, r = itq.cuts(64, 4)[1], np.random.default_rng(2)
     a = r.integers(0, 2**63, 200, dtype="u8") & mask
